@@ -1,8 +1,8 @@
 """The opN_ queries and their SQL."""
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, simhash, toxicity
+from . import exact_dedup, license_scan, mixing, packing, pii, simhash, toxicity
 
-QUERIES = {"op2_exact_dedup": exact_dedup.op2, "op3_simhash": simhash.op3, "op4_toxicity": toxicity.op4,
-           "op5_packing": packing.op5, "op7_mixing": mixing.op7}
+QUERIES = {"op1_pii": pii.op1, "op2_exact_dedup": exact_dedup.op2, "op3_simhash": simhash.op3, "op4_toxicity": toxicity.op4,
+           "op5_packing": packing.op5, "op6_license_scan": license_scan.op6, "op7_mixing": mixing.op7}
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL}
