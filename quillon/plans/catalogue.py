@@ -1,3 +1,256 @@
-"""Named verification queries and their DuckDB twins."""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Named verification queries over the supplied tables and their DuckDB twins.
+
+documents stand in for files: path = source/doc_id.lang, row_id = doc_id, one file row each."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from quillon.functions import text as T
+from quillon.functions.regex_dialect import to_java
+from quillon.operators import rank, search
+
+PATH = "source || '/' || doc_id || '.' || lang"
+
+
+def corpus(spark, d):
+    t = spark.read.parquet(f"{d}/documents.parquet")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
+    return t.select(F.col("doc_id").alias("row_id"), "doc_id", path.alias("path"), F.col("text").alias("content"), F.lit(1).alias("line_start"))
+
+
+def pages(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("row_id"), "url", F.col("html").alias("content"))
+
+
+Q, S = {}, {}
+
+
+def query(sql=None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            S[f.__name__] = sql
+        return f
+    return add
+
+
+TOK = r"""regexp_extract_all(text, '([\p{L}\p{N}_$@#\-]+)[^\p{L}\p{N}_$@#\-\s]?|[^\s]', 1)"""
+TOKROWS = rf"""t0 AS (SELECT doc_id, {TOK} AS a FROM documents),
+t1 AS (SELECT doc_id, unnest(a) AS term, generate_subscripts(a, 1) - 1 AS pos FROM t0),
+tok AS (SELECT doc_id, lower(term) AS term, pos FROM t1 WHERE term <> '' AND strlen(term) < 100)"""
+
+
+def bm25_sql(words):
+    ws = ", ".join(f"'{w}'" for w in words)
+    return rf"""{TOKROWS},
+dl AS (SELECT d.doc_id, count(t.term)::double AS dl FROM documents d LEFT JOIN tok t USING (doc_id) GROUP BY 1),
+st AS (SELECT count(*)::double AS n, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT doc_id, term, count(*)::double AS tf FROM tok WHERE term IN ({ws}) GROUP BY 1, 2),
+df AS (SELECT term, count(*)::double AS df FROM tf GROUP BY 1),
+sc AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * 2.2::double * tf / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))), 9) AS score
+  FROM tf JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY 1)"""
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license')")
+def literal_filter(spark, d):
+    return corpus(spark, d).filter(T.contains_ci(F.col("content"), "license")).select("doc_id")
+
+
+@query(f"WITH {bm25_sql(['license'])} SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 10")
+def literal_topk_bm25(spark, d):
+    s = rank.bm25(corpus(spark, d), ["license"]).withColumn("r", F.round("score", 9))
+    return s.orderBy(F.desc("r"), "row_id").limit(10).select(F.col("row_id").alias("doc_id"), F.round("r", 6).alias("score"))
+
+
+@query(f"""WITH {bm25_sql(['on', 'the'])}, c AS (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 200), m AS (SELECT max(score) AS best FROM c)
+SELECT doc_id, round(score / best, 6) AS score FROM c JOIN documents USING (doc_id), m WHERE contains(lower(text), 'on the') ORDER BY c.score DESC, doc_id LIMIT 20""")
+def gated_search(spark, d):
+    return search.search(corpus(spark, d), "on the", 20).select("doc_id", "score")
+
+
+@query(f"""WITH {bm25_sql(['on', 'the'])} SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM documents LEFT JOIN sc USING (doc_id)
+WHERE contains(lower(text), 'on the') ORDER BY coalesce(sc.score, 0) DESC, doc_id LIMIT 20""")
+def exact_search(spark, d):
+    docs = corpus(spark, d)
+    s = docs.filter(T.contains_ci(F.col("content"), "on the")).join(rank.bm25(docs, ["on", "the"]), "row_id", "left")
+    s = s.withColumn("r", F.round(F.coalesce("score", F.lit(0.0)), 9))
+    return s.orderBy(F.desc("r"), "doc_id").limit(20).select("doc_id", F.round("r", 6).alias("score"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS ls FROM documents WHERE contains(lower(text), 'license')),
+p AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: contains(lower(x), 'license')), true) - 1 AS i FROM l)
+SELECT doc_id, (greatest(i - 2, 0) + 1)::BIGINT AS line_start, least(i + 8, len(ls))::BIGINT AS line_end FROM p""")
+def snippet_lines(spark, d):
+    s = corpus(spark, d).filter(T.contains_ci(F.col("content"), "license")).withColumn("s", T.literal_snippet(F.col("content"), "license"))
+    return s.select("doc_id", (F.col("s.offset") + 1).cast("long").alias("line_start"), (F.col("s.offset") + F.col("s.count")).cast("long").alias("line_end"))
+
+
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, 'licen[sc]e\s+\w+|^the', 'i')")
+def regex_search(spark, d):
+    return corpus(spark, d).filter(F.rlike("content", F.lit(to_java(r"licen[sc]e\s+\w+|^the")))).select("doc_id")
+
+
+@query(rf"""WITH {TOKROWS} SELECT a.doc_id, count(*) AS tf FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1""")
+def phrase_search(spark, d):
+    return rank.phrase(corpus(spark, d), ["of", "the"]).select(F.col("row_id").alias("doc_id"), "tf")
+
+
+@query(rf"WITH {TOKROWS} SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1")
+def token_stats(spark, d):
+    per = rank.token_rows(corpus(spark, d)).groupBy("term", "row_id").agg(F.count("*").alias("c"))
+    return per.groupBy("term").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
+
+
+@query(rf"WITH {TOKROWS} SELECT d.doc_id, count(term) AS dl FROM documents d LEFT JOIN tok USING (doc_id) GROUP BY 1")
+def doc_lengths(spark, d):
+    return rank.doc_lengths(corpus(spark, d)).select(F.col("row_id").alias("doc_id"), "dl")
+
+
+@query(rf"WITH {TOKROWS} SELECT term, doc_id, count(*) AS tf, min(pos)::BIGINT AS first_pos FROM tok GROUP BY 1, 2")
+def postings(spark, d):
+    p = rank.postings(corpus(spark, d))
+    return p.select("term", F.col("row_id").alias("doc_id"), "tf", F.element_at("positions", 1).cast("long").alias("first_pos"))
+
+
+CHUNKS = r"""l AS (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS ls FROM documents),
+c AS (SELECT doc_id, ls, unnest(range(0, len(ls), 40)) AS s FROM l WHERE len(ls) > 50),
+ch AS (SELECT doc_id, (s // 40)::BIGINT AS chunk, (s + 1)::BIGINT AS line_start, least(s + 50, len(ls))::BIGINT AS line_end FROM c)"""
+
+
+def chunk_rows(docs):
+    c = docs.select("doc_id", F.explode(T.chunk_spans(F.col("content"))).alias("c"))
+    return c.select("doc_id", *[F.col(f"c.{x}").cast("long").alias(x) for x in ("chunk", "line_start", "line_end")])
+
+
+@query(f"WITH {CHUNKS} SELECT * FROM ch")
+def chunks(spark, d):
+    return chunk_rows(corpus(spark, d))
+
+
+@query(f"WITH {CHUNKS} SELECT * FROM ch UNION ALL SELECT doc_id, -1, 1, len(ls) FROM l")
+def docs_union_chunks(spark, d):
+    docs = corpus(spark, d)
+    files = docs.select("doc_id", F.lit(-1).cast("long").alias("chunk"), F.lit(1).cast("long").alias("line_start"), F.size(T.lines(F.col("content"))).cast("long").alias("line_end"))
+    return chunk_rows(docs).unionByName(files)
+
+
+@query(f"SELECT doc_id, {PATH} AS path FROM documents WHERE lower(lang) IN ('en', 'fr')")
+def ext_filter(spark, d):
+    return corpus(spark, d).filter(search.path_filter(extensions=["EN", "fr"])).select("doc_id", "path")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains({PATH}, 'src1/') OR contains({PATH}, 'c7/')")
+def path_filter(spark, d):
+    return corpus(spark, d).filter(search.path_filter(paths=["src1/", "c7/"])).select("doc_id")
+
+
+@query(f"WITH {bm25_sql(['the'])}, c AS (SELECT doc_id FROM sc ORDER BY score DESC, doc_id LIMIT 100) SELECT doc_id FROM c JOIN documents USING (doc_id) WHERE lang = 'fr' OR lang = 'en'")
+def post_limit_filter(spark, d):
+    docs = corpus(spark, d)
+    top = rank.bm25(docs, ["the"]).withColumn("r", F.round("score", 9)).orderBy(F.desc("r"), "row_id").limit(100)
+    return docs.join(F.broadcast(top), "row_id").filter(search.path_filter(extensions=["fr", "en"])).select("doc_id")
+
+
+@query("SELECT page_id FROM pages WHERE contains(url, '/a/') OR starts_with(url, 'a/') OR ends_with(url, '/a') OR ends_with(url, '.html') OR contains(url, '/item/') OR url = 'item' OR ends_with(url, '/item')")
+def glob_ignore(spark, d):
+    return pages(spark, d).filter(T.any_glob(F.col("url"), ["**/a/**", "*.html", "item"])).select(F.col("row_id").alias("page_id"))
+
+
+@query("SELECT page_id FROM pages WHERE regexp_matches(url, '(^|/)[.]')")
+def hidden_prune(spark, d):
+    return pages(spark, d).filter(T.hidden(F.col("url"))).select(F.col("row_id").alias("page_id"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE source IN ('src3', 'src4')")
+def ignored_dirs(spark, d):
+    return corpus(spark, d).filter(T.in_directories(F.col("path"), ["src3", "src4"])).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE strlen(text) <= 10485760")
+def size_guard(spark, d):
+    return corpus(spark, d).filter(F.octet_length("content") <= 10485760).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE strlen(text) BETWEEN 50 AND 50000")
+def embeddable(spark, d):
+    return corpus(spark, d).filter(F.octet_length("content").between(50, 50000)).select("doc_id")
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
+def content_dedupe(spark, d):
+    return corpus(spark, d).groupBy(F.sha2("content", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+def vectors(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+KNN = """knn AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::double[], (SELECT embedding::double[] FROM embeddings WHERE vec_id = 0)) AS sim FROM embeddings ORDER BY sim DESC, vec_id LIMIT {})"""
+
+
+def _nearest(spark, d, k):
+    v = vectors(spark, d)
+    q = v.filter("doc_id = 0").select("embedding").first()[0]
+    return rank.knn(v, q, k)
+
+
+@query(f"WITH {KNN.format(5)} SELECT doc_id, round(sim, 6) AS similarity FROM knn")
+def knn_cosine(spark, d):
+    return _nearest(spark, d, 5).select("doc_id", F.round("similarity", 6).alias("similarity"))
+
+
+HYB = f"""WITH {bm25_sql(['the'])}, {KNN.format(30)},
+b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 30)),
+v AS (SELECT doc_id, row_number() OVER (ORDER BY sim DESC, doc_id) AS r FROM knn),
+u AS (SELECT doc_id, 0.5::double / (60 + r) AS t, 0::double AS v FROM b UNION ALL SELECT doc_id, 0, 0.5::double / (60 + r) FROM v),
+g AS (SELECT doc_id, sum(t) AS t, sum(v) AS v FROM u GROUP BY 1),
+h AS (SELECT doc_id, round(t + v, 6) AS score, CASE WHEN t > 0 AND v > 0 THEN 'Hybrid' WHEN v > 0 THEN 'Semantic' ELSE 'Text' END AS match_type FROM g)"""
+
+
+def _fused(spark, d):
+    top = rank.bm25(corpus(spark, d), ["the"]).withColumn("r", F.round("score", 9)).orderBy(F.desc("r"), "row_id").limit(30)
+    text = top.select(F.col("row_id").alias("doc_id"), F.row_number().over(Window.orderBy(F.desc("r"), "row_id")).alias("rank"))
+    return rank.rrf(text, _nearest(spark, d, 30)).withColumn("score", F.round("score", 6))
+
+
+@query(HYB + " SELECT * FROM h ORDER BY score DESC, doc_id LIMIT 10")
+def hybrid_rrf(spark, d):
+    return _fused(spark, d).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+@query(HYB + " SELECT match_type, count(*) AS n FROM h GROUP BY 1")
+def hit_counts(spark, d):
+    return _fused(spark, d).groupBy("match_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {KNN.format(20)} SELECT doc_id, {PATH} AS path FROM knn JOIN documents USING (doc_id)")
+def doc_lookup(spark, d):
+    return F.broadcast(_nearest(spark, d, 20).select("doc_id")).join(corpus(spark, d), "doc_id").select("doc_id", "path")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
+def upsert_latest(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE {PATH} NOT IN (SELECT {PATH} FROM documents WHERE source = 'src2')")
+def delete_by_path(spark, d):
+    docs = corpus(spark, d)
+    return docs.join(docs.filter(F.col("path").startswith("src2/")).select("path"), "path", "left_anti").select("doc_id")
+
+
+@query("SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT 'src' || n_nationkey FROM nation WHERE n_nationkey < 10)")
+def orphans(spark, d):
+    known = spark.read.parquet(f"{d}/nation.parquet").filter("n_nationkey < 10").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("source").distinct().join(known, "source", "left_anti")
+
+
+@query(HYB + " SELECT doc_id, round(least(score * 3000, 99.9::double), 6) AS display FROM h")
+def display_score(spark, d):
+    return _fused(spark, d).select("doc_id", F.round(T.display_score(F.col("score")), 6).alias("display"))
+
+
+QUERIES, ORACLE_SQL = Q, S
