@@ -253,4 +253,19 @@ def display_score(spark, d):
     return _fused(spark, d).select("doc_id", F.round(T.display_score(F.col("score")), 6).alias("display"))
 
 
+@query(r"""WITH l AS (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS ls FROM documents WHERE regexp_matches(text, 'licen[sc]e', 'i')),
+p AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: regexp_matches(x, 'licen[sc]e', 'i')), true) - 1 AS i FROM l)
+SELECT doc_id, (greatest(i - 2, 0) + 1)::BIGINT AS line_start, least(i + 8, len(ls))::BIGINT AS line_end FROM p""")
+def regex_snippet(spark, d):
+    java = to_java("licen[sc]e")
+    s = corpus(spark, d).filter(F.rlike("content", F.lit(java))).withColumn("s", T.regex_snippet(F.col("content"), java))
+    return s.select("doc_id", (F.col("s.offset") + 1).cast("long").alias("line_start"), (F.col("s.offset") + F.col("s.count")).cast("long").alias("line_end"))
+
+
+@query(f"""WITH {bm25_sql(['the', 'on'])}, c AS (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 400), m AS (SELECT max(score) AS best FROM c)
+SELECT doc_id, round(score / best, 6) AS score FROM c JOIN documents USING (doc_id), m WHERE regexp_matches(text, 'the\\s+on', 'i') ORDER BY c.score DESC, doc_id LIMIT 20""")
+def regex_gate_terms(spark, d):
+    return search.search_regex(corpus(spark, d), r"the\s+on", 20).select("doc_id", "score")
+
+
 QUERIES, ORACLE_SQL = Q, S
