@@ -44,7 +44,7 @@ def _fold(level: int, seed: int):
             'done', concat(acc.done, array(named_struct('uid', if({win}, acc.uid, x.uid), 'take', 1)))) END)"""
 
 
-def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, id_col="doc_id", text_col="text", source_col="source", keys: bool = False) -> DataFrame:
     """(doc_id, size, source, source_size, target, copies, taken), one row per row of docs.
 
     A document's expected copies are its source's target / size; the whole part is certain, the fraction is rounded by
@@ -54,6 +54,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: fl
 
     Null text has size 0, null source is a source of its own; ids may repeat or be null (units are keyed by id, text
     and a hash of both; fully equal rows share a decision). Empty input gives no rows. Other columns are ignored.
+    keys=True adds uid, the hash of id, text and source that decisions go by.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     units = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
@@ -89,7 +90,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: fl
             decided = decided.unionByName(rest.select("uid", (last < F.col("p")).cast("int").alias("take")))
     out = units.join(rates, same(units, rates)).drop(rates["source"]).join(decided, "uid", "left")
     copies = (F.col("base") + F.coalesce("take", F.lit(0))).cast("int")
-    return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select(*["uid"] * keys, "doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

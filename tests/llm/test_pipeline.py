@@ -44,3 +44,19 @@ def test_near_copies_match_brute_force(spark):
     assert links > 25
     got = corpus_pipeline.drop_near_copies(spark, frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]), None)
     assert sorted(x.doc_id for x in got.collect()) == sorted({find(i) for i in range(len(texts))})
+
+
+def test_stages_keep_null_ids_and_do_not_multiply_repeated_rows(spark):
+    r = random.Random(12)
+    text = lambda n: " ".join("w%d" % r.randrange(3000) for _ in range(n))
+    one, two = text(30), text(30)
+    rows = [(None, one, "en", "a", 1), (None, one.replace(" ", "  "), "en", "a", 1), (None, two, "en", "a", 1), (7, text(30), "en", "a", 1), (8, two.replace(" ", "\t"), "en", "a", 1)]
+    rows += [(5, text(20), "en", "a", 1)] * 3 + [(8, text(25), None, None, None), (9, None, None, None, None)]
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        got = [tuple(x) for x in stage(spark, frame(spark, rows), None).collect()]
+        assert len(got) == len(set(got)) == 6  # one, two (id 8 goes before null), 7, 5, and the others of 8 and 9
+        assert set(got) >= {rows[3], rows[4], rows[5], rows[8], rows[9]}
+        assert [x[1].split() for x in got if x[0] is None] == [one.split()]
+    mixed = [tuple(x) for x in corpus_pipeline.mix(spark, frame(spark, rows), None).collect()]
+    assert all(mixed.count(x) <= 2 * rows.count(x) for x in set(mixed))
+    assert all(mixed.count(x) >= rows.count(x) for x in set(rows) if x[3] == "a")  # the rate of source a is 1.4
