@@ -9,8 +9,17 @@ from .common import materialise
 MARK = r"^(?:[\x20\t]*>)+"
 
 
+def _plain(c):
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+
 def _hash(c):
-    return F.sha2(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), 256)
+    return F.sha2(_plain(c), 256)
+
+
+def _units(c):
+    """The whole, its paragraphs and its lines."""
+    return F.filter(F.array_distinct(F.concat(F.array(c), F.split(c, r"\n\s*\n"), F.split(c, r"\n"))), lambda u: F.rlike(u, F.lit(r"\S")))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
@@ -18,9 +27,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     (deepest), reply_to (turn), root (turn of the thread's first message) and depth; a conversation read in reply order
     is its rows by (root, depth, turn).
 
-    A quoted passage is a run of lines of one level; its normalised hash meets the hashes of whole messages, paragraphs
-    and lines written at level 0 in the same conversation, each reduced to its first turn, so a hot passage is one row.
-    reply_to is the latest earlier turn quoted at the lowest linked level. Null text is empty; null ids never link;
+    A quoted passage is a run of lines of one level; the normalised hashes of its whole, paragraphs and lines meet those
+    of whole messages, paragraphs and lines written at level 0 in the same conversation, each reduced to its first turn,
+    so a hot passage is one row and a trimmed quote still links. reply_to is, at the lowest linked level, the earlier turn
+    with the longest matched unit, then with the most matched characters, then the latest. Null text is empty; null ids never link;
     repeated rows stay. Conversations are never gathered: roots are found by pointer jumping over links.
     """
     lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n", -1)
@@ -36,13 +46,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     m = m.select("conv_id", "turn", "role", own.alias("content"), F.array_max(F.transform("lines", lambda x: x["level"])).alias("levels"),
                  F.when(quoting, F.filter(runs, lambda r: (r["level"] > 0) & (F.trim(r["body"]) != ""))).otherwise(F.expr(f"cast(array() as {kind})")).alias("quotes"))
     m = materialise(m, "messages")
-    quotes = m.filter(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", _hash(F.col("q.body")).alias("h"))
-    units = F.array_distinct(F.concat(F.array("content"), F.split("content", r"\n\s*\n"), F.split("content", r"\n")))
+    quotes = m.filter(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", F.explode(_units(F.col("q.body"))).alias("u"))
+    quotes = quotes.select("conv_id", "turn", "level", _hash(F.col("u")).alias("h"), F.length(_plain(F.col("u"))).alias("size")).distinct()
     asked = quotes.select("conv_id").distinct()
-    first = (m.join(asked, "conv_id", "left_semi").select("conv_id", "turn", F.explode(units).alias("u")).filter("trim(u) <> ''")
+    first = (m.join(asked, "conv_id", "left_semi").select("conv_id", "turn", F.explode(_units(F.col("content"))).alias("u"))
              .groupBy("conv_id", _hash(F.col("u")).alias("h")).agg(F.min("turn").alias("origin")))
     hits = quotes.join(first, ["conv_id", "h"]).filter("origin < turn")
-    parent = materialise(hits.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "origin")).alias("reply_to")), "parents")
+    hits = hits.groupBy("conv_id", "turn", "level", "origin").agg(F.max("size").alias("longest"), F.sum("size").alias("total"))
+    parent = materialise(hits.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "longest", "total", "origin")).alias("reply_to")), "parents")
     up = parent.select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).alias("depth"))
     while True:
         above = up.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("r2"), F.col("depth").alias("d2"))
