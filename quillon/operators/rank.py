@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,44 @@ def knn(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "doc_id")).cast("long"))
 
 
+NO_ID = -(1 << 63)
+
+
+def _packed(batches):
+    """(id, vector) rows -> rows (ids, unit vectors as bytes) of up to 1,024 vectors. As in `cosine`, vectors that are null,
+    zero or hold a null are like nothing: they stay as zeros. A block of nulls alone has no bytes."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 1024):
+            ids, vs = (c[lo : lo + 1024].to_pylist() for c in b.columns)
+            size = max(len(v or ()) for v in vs)
+            m = np.array([v if v and None not in v else [0.0] * size for v in vs], np.float64).reshape(len(vs), size)
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            m = m / np.where(norm > 0, norm, 1)
+            ids = [NO_ID if i is None else i for i in ids]
+            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], ["ids", "m"])
+
+
+def knn_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """vectors and queries (doc_id, embedding) -> (query_id, doc_id, similarity, rank): for every query the k nearest of
+    all vectors by cosine, ties (9 decimals) by doc_id. Blocks of queries meet blocks of vectors as one matrix product each,
+    which puts out k rows a query at most; only these are shuffled."""
+    def best(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                ids, sims = np.array(r["ids"], np.int64), np.zeros((len(r["qids"]), len(r["ids"])))
+                if r["q"] and r["m"]:
+                    q, v = (np.frombuffer(r[c]).reshape(len(r[i]), -1) for c, i in (("q", "qids"), ("m", "ids")))
+                    sims = np.round(q @ v.T, 9)
+                for n, row in zip(r["qids"], sims):
+                    top = np.lexsort((ids, -row))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), n, np.int64)), pa.array(ids[top], mask=ids[top] == NO_ID), pa.array(row[top])], ["query_id", "doc_id", "similarity"])
+    kind = "ids array<long>, m binary"
+    ask = queries.select("doc_id", "embedding").filter("doc_id IS NOT NULL").distinct().mapInArrow(_packed, kind).select(F.col("ids").alias("qids"), F.col("m").alias("q"))
+    part = vectors.select("doc_id", "embedding").mapInArrow(_packed, kind).crossJoin(ask).mapInArrow(best, "query_id long, doc_id long, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
+    return part.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
 def rrf(text_hits: DataFrame, vector_hits: DataFrame, text_weight: float = 0.5, vector_weight: float = 0.5, k: int = 60) -> DataFrame:
     """Lists (doc_id, rank) -> (doc_id, score, match_type): weighted reciprocal rank fusion in one aggregate."""
     rows = text_hits.select("doc_id", (text_weight / (k + F.col("rank"))).alias("t"), F.lit(0.0).alias("v")).unionByName(

@@ -201,6 +201,15 @@ def knn_cosine(spark, d):
     return _nearest(spark, d, 5).select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::double[] AS e FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::double[], e), 9) AS sim FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id, round(sim, 6) AS similarity, rank FROM r WHERE rank <= 5""")
+def knn_cosine_many(spark, d):
+    v = vectors(spark, d)
+    return rank.knn_many(v, v.filter("doc_id % 100 = 0"), 5).select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 HYB = f"""WITH {bm25_sql(['the'])}, {KNN.format(30)},
 b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 30)),
 v AS (SELECT doc_id, row_number() OVER (ORDER BY sim DESC, doc_id) AS r FROM knn),
