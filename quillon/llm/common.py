@@ -15,9 +15,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder only where that is unset (local tests)."""
+    """A new path below spark.checkpoint.dir; a temporary folder only in local mode with that unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
@@ -31,6 +33,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows (rid long, ...) with `maybe`: false only if rid is not among keys (rid long, a written table), true for all keys
+    and a few others. A bitmap of about eight bits a key is broadcast, 64 kB to 16 MB whatever the number of keys; beyond
+    16 million keys more of the others pass, which costs time only."""
+    bits = 1 << min(27, max(19, (8 * keys.count()).bit_length()))
+    bit = lambda c: F.pmod(c, F.lit(bits))
+    maps = keys.select(bit(F.col("rid")).alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("bucket")).agg(F.bitmap_construct_agg((F.col("p") % 32768).cast("long")).alias("bits"))
+    d = rows.withColumn("p", bit(F.col("rid"))).withColumn("bucket", F.floor(F.col("p") / 32768))
+    d = d.join(F.broadcast(maps), "bucket", "left")
+    byte = F.conv(F.hex(F.substring("bits", F.floor((F.col("p") % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return d.withColumn("maybe", F.coalesce(F.getbit(byte, (F.col("p") % 8).cast("int")) == 1, F.lit(False))).drop("p", "bucket", "bits")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b long, a <> b) -> (node, label): label is the smallest node reachable.
 

@@ -60,3 +60,23 @@ def test_stages_keep_null_ids_and_do_not_multiply_repeated_rows(spark):
     mixed = [tuple(x) for x in corpus_pipeline.mix(spark, frame(spark, rows), None).collect()]
     assert all(mixed.count(x) <= 2 * rows.count(x) for x in set(mixed))
     assert all(mixed.count(x) >= rows.count(x) for x in set(rows) if x[3] == "a")  # the rate of source a is 1.4
+
+
+def test_a_large_family_of_near_copies_makes_no_square_of_pairs(spark, monkeypatch):
+    from quillon.llm import similar
+
+    sizes = []
+    bounded = similar._bounded
+    monkeypatch.setattr(similar, "_bounded", lambda pairs: (lambda out: (sizes.append(out.count()), out)[1])(bounded(pairs)))
+    r = random.Random(13)
+    word = lambda: "w%d" % r.randrange(9000)
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        w[r.randrange(120)] = word()
+        rows.append((i, " ".join(w), "en", "a", 1))
+    rows += [(1000 + i, " ".join(base[:30] + [word() for _ in range(200)]), "en", "a", 1) for i in range(50)]
+    got = {x.doc_id for x in similar.near_copies(frame(spark, rows)).filter("doc_id = component_id").collect()}
+    assert got == {0} | {1000 + i for i in range(50)}
+    assert sum(sizes) < 20 * len(rows)
