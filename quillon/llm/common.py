@@ -33,6 +33,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; for callers, once the results that read them are written."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """rows (rid long, ...) with `maybe`: false only if rid is not among keys (rid long, a written table), true for all keys
     and a few others. A bitmap of about eight bits a key is broadcast, 64 kB to 16 MB whatever the number of keys; beyond
@@ -46,6 +54,22 @@ def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return d.withColumn("maybe", F.coalesce(F.getbit(byte, (F.col("p") % 8).cast("int")) == 1, F.lit(False))).drop("p", "bucket", "bits")
 
 
+LARGE = 1000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """rows left join groups (key unique, never null, a written table whose `count` column counts rows of each key).
+
+    Groups that hold more than a thousandth of all grouped rows are fewer than LARGE, whatever the data, and are broadcast,
+    so their rows stay where they are; the others' rows are shuffled, at most a thousandth of them for one key."""
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    big = F.col(count) * LARGE > total
+    hot, cold = F.broadcast(groups.filter(big)), groups.filter(~big)
+    near = rows.join(hot, key)
+    far = rows.join(hot.select(key), key, "left_anti").join(cold, key, "left")
+    return near.unionByName(far)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b long, a <> b) -> (node, label): label is the smallest node reachable.
 

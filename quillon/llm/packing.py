@@ -48,9 +48,10 @@ def pack(docs: DataFrame, buckets: int = 12, budget: int = 32_768, id_col: str =
     """(doc_id, n_tokens, bucket, padded, batch), one row per row of docs; tokens are words between ASCII white space.
 
     The histogram that comes to the driver has one row a distinct length, so the longest document bounds it. A bucket's
-    batches hold max(1, floor(budget / bound)) rows in the order of (id hash shard, length, id), so no batch exceeds the
+    batches hold max(1, floor(budget / bound)) rows in the order of (id hash shard, length, id, hash of id and text), so no batch exceeds the
     budget except a single document longer than it. Shards of a bucket are sized from its counts; only per-shard counts
-    meet in the offset window. Null or empty texts have 0 tokens; repeated ids are rows of their own.
+    meet in the offset window. Null or empty texts have 0 tokens; repeated ids are rows of their own, and only
+    fully equal ones may swap places between runs; other columns are ignored; no rows give no rows.
     """
     n = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), n.alias("n_tokens"), F.xxhash64(id_col, text_col).alias("h")), "packing")
@@ -63,7 +64,7 @@ def pack(docs: DataFrame, buckets: int = 12, budget: int = 32_768, id_col: str =
     per = r.groupBy("bucket", "shard").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select("bucket", "shard", before.alias("before"))
-    r = r.withColumn("rn", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("n_tokens", "doc_id")))
+    r = r.withColumn("rn", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("n_tokens", "doc_id", "h")))
     r = r.join(per, ["bucket", "shard"])
     bound = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds or [0]]), F.col("bucket") + 1)
     cap = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), bound)))
