@@ -57,16 +57,17 @@ def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
 LARGE = 1000
 
 
-def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
-    """rows left join groups (key unique, never null, a written table whose `count` column counts rows of each key).
+def join_counted(rows: DataFrame, groups: DataFrame, key: str | list[str], count: str, how: str = "left") -> DataFrame:
+    """rows join groups (key unique, never null, a written table whose `count` column counts rows of each key), left or inner.
 
     Groups that hold more than a thousandth of all grouped rows are fewer than LARGE, whatever the data, and are broadcast,
     so their rows stay where they are; the others' rows are shuffled, at most a thousandth of them for one key."""
+    keys = [key] if isinstance(key, str) else key
     total = groups.agg(F.sum(count)).first()[0] or 0
     big = F.col(count) * LARGE > total
     hot, cold = F.broadcast(groups.filter(big)), groups.filter(~big)
-    near = rows.join(hot, key)
-    far = rows.join(hot.select(key), key, "left_anti").join(cold, key, "left")
+    near = rows.join(hot, keys)
+    far = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
     return near.unionByName(far)
 
 

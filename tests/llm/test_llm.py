@@ -148,21 +148,60 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_suffix_dedup_matches_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def repetitive():
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(1, 7)))
     shared = [" ".join(word() for _ in range(80)) for _ in range(4)]
     texts = [" ".join([word() for _ in range(r.randrange(40))] + [r.choice(shared)[r.randrange(60):]] + [word() for _ in range(30)]) for _ in range(60)]
     texts += ["a" * 450, texts[0], "ab" * 300]
+    return texts
+
+
+@pytest.mark.parametrize("limit", [2048, 4, 1])
+def test_suffix_dedup_matches_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
+    texts = repetitive()
     got = suffix_dedup.dedup_substrings(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
     assert [(g.n_removed, g.kept_sha256) for g in got] == brute_repeats([t.encode() for t in texts])
 
 
+@pytest.mark.parametrize("limit", [2048, 4])
+def test_repeat_groups_list_every_occurrence(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
+    texts = repetitive()
+    groups = collections.defaultdict(set)
+    for g in suffix_dedup.repeat_groups(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect():
+        groups[g.group_id, g.length].add((g.doc_id, g.start))
+    data = [t.encode() for t in texts]
+    cover = [bytearray(len(t)) for t in data]
+    for (_, n), places in groups.items():
+        i, s = min(places)
+        what = data[i][s : s + n]
+        want = {(j, k) for j, t in enumerate(data) for k in range(len(t) - n + 1) if t[k] == what[0] and t[k : k + n] == what}
+        assert n >= 200 and len(places) > 1 and places == want
+        for j, k in places:
+            cover[j][k : k + n] = b"\1" * n
+    assert [sum(c) for c in cover] == [n for n, _ in brute_repeats(data)]
+
+
 def test_maximal_repeats_list_all_occurrences():
-    got = suffix_dedup.maximal_repeats([b"xabcdy", b"zabcdw", b"qabcr"], 3)
-    assert sorted((n, sorted(o)) for n, o in got) == [(3, [(0, 1), (1, 1), (2, 1)]), (4, [(0, 1), (1, 1)])]
+    got = [(n, sorted(zip(t.tolist(), s.tolist()))) for n, t, s in suffix_dedup.maximal_repeats([b"xabcdy", b"zabcdw", b"qabcr"], 3)]
+    assert sorted(got) == [(3, [(0, 1), (1, 1), (2, 1)]), (4, [(0, 1), (1, 1)])]
+
+
+def test_maximal_repeats_match_enumeration():
+    r = random.Random(9)
+    for _ in range(200):
+        texts = ["".join(r.choices("ab", k=r.randrange(14))).encode() for _ in range(4)]
+        at = collections.defaultdict(set)
+        for i, t in enumerate(texts):
+            for s in range(len(t)):
+                for e in range(s + 2, len(t) + 1):
+                    at[t[s:e]].add((i, s))
+        side = lambda w, d: {texts[i][s + d : s + d + 1] or i for i, s in at[w] if s + d >= 0} | {("edge", i) for i, s in at[w] if s + d < 0}
+        want = {(len(w), tuple(sorted(o))) for w, o in at.items() if len(o) > 1 and len(side(w, -1)) > 1 and len(side(w, len(w))) > 1}
+        got = {(n, tuple(sorted(zip(t.tolist(), s.tolist())))) for n, t, s in suffix_dedup.maximal_repeats(texts, 2)}
+        assert got == want
 
 
 def test_quotes(spark):
