@@ -1,7 +1,8 @@
-"""Result output: terminal text, pretty text and JSON over the collected top rows (at most 100)."""
+"""Results and their output: terminal text, pretty text and JSON over the collected top rows (at most 100)."""
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass, field
 
 
 def lines_str(a: int, b: int) -> str:
@@ -19,11 +20,31 @@ def summary(kinds: list[str]) -> str:
     return f"{text} text + {semantic} semantic" if text and semantic else "semantic" if semantic else "text"
 
 
-def format_ai(hits: list[dict]) -> str:
+@dataclass
+class SearchResult:
+    """The collected hits of one search, best first."""
+
+    hits: list[dict] = field(default_factory=list)
+    query_time_ms: int = 0
+
+    @classmethod
+    def of(cls, df, query_time_ms: int = 0) -> SearchResult:
+        return cls(sorted((r.asDict() for r in df.collect()), key=lambda h: (-h["score"], str(h["row_id"]))), query_time_ms)
+
+    kinds = property(lambda self: [h.get("match_type", "Text") for h in self.hits])
+    total = property(lambda self: len(self.hits))
+    is_empty = property(lambda self: not self.hits)
+    text_hits = property(lambda self: sum(k != "Semantic" for k in self.kinds))
+    semantic_hits = property(lambda self: sum(k != "Text" for k in self.kinds))
+    type_summary = property(lambda self: summary(self.kinds))
+
+
+def format_ai(hits: list[dict], scores: bool = False) -> str:
     out = [f"# {len(hits)} results ({summary([h.get('match_type', 'Text') for h in hits])})", ""]
     for h in hits:
         mark = {"Hybrid": " +", "Semantic": " ~"}.get(h.get("match_type"), "")
-        out += [f"{h['path']}:{h['line_start']} ({min(h['score'] * 3000, 99.9):.0f}%){mark}", "  " + preview((h["snippet"].splitlines() or [""])[0], 100)]
+        raw = f" [{h['score']:.6f}]" if scores else ""
+        out += [f"{h['path']}:{h['line_start']} ({min(h['score'] * 3000, 99.9):.0f}%){mark}{raw}", "  " + preview((h["snippet"].splitlines() or [""])[0], 100)]
     return "\n".join(out) + "\n"
 
 
@@ -36,12 +57,23 @@ def format_pretty(hits: list[dict]) -> str:
 
 
 def format_json(hits: list[dict], query_time_ms: int = 0) -> str:
-    kinds = [h.get("match_type", "Text") for h in hits]
-    return json.dumps({"hits": hits, "total": len(hits), "query_time_ms": query_time_ms, "text_hits": sum(k != "Semantic" for k in kinds), "semantic_hits": sum(k != "Text" for k in kinds)}, indent=2, ensure_ascii=False)
+    r = SearchResult(hits, query_time_ms)
+    return json.dumps({"hits": hits, "total": r.total, "query_time_ms": query_time_ms, "text_hits": r.text_hits, "semantic_hits": r.semantic_hits}, indent=2, ensure_ascii=False)
 
 
-def format_size(n: int) -> str:
+def format_size(n: int, places: int = 1, small: str = "B") -> str:
+    """1 place and "B" in listings; index reports use 2 places and "bytes"."""
     for unit, at in (("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10)):
         if n >= at:
-            return f"{n / at:.1f} {unit}"
-    return f"{n} B"
+            return f"{n / at:.{places}f} {unit}"
+    return f"{n} {small}"
+
+
+def format_status(details: dict, detailed: bool = False) -> str:
+    out = [f"Workspace: {details['workspace']}", "Indexed: yes", f"Index type: {'semantic' if details['semantic'] else 'text'}"]
+    if details["semantic"]:
+        out.append("Semantic search: available")
+    if detailed:
+        out += [f"  {k}: {details[k]}" for k in ("indexed_at", "files_indexed", "rows", "tokens", "terms", "vectors", "generation", "segments")]
+        out.append(f"  size: {format_size(details['size'])}")
+    return "\n".join(out) + "\n"

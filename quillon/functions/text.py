@@ -37,7 +37,8 @@ def contains_ci(content: Column, query: str) -> Column:
 
 
 def snippet(content: Column, hit, before: int = 2, after: int = 8, limit: int = 10) -> Column:
-    """Struct (text, offset, count) around the first line for which hit(line) holds, else the first `limit` lines."""
+    """Struct (text, offset, count, line) around the first line for which hit(line) holds, else the first `limit` lines and
+    no line."""
     ls = lines(content)
     i = F.array_position(F.transform(ls, hit), True).cast("int") - 1
     start = F.greatest(i - before, F.lit(0))
@@ -46,7 +47,7 @@ def snippet(content: Column, hit, before: int = 2, after: int = 8, limit: int =
     part = F.when(found, F.slice(ls, start + 1, F.greatest(end - start, F.lit(0)))).otherwise(F.slice(ls, 1, limit))
     text = F.array_join(part, "\n")
     return F.struct(text.alias("text"), F.when(found, start).otherwise(0).alias("offset"),
-                    F.when(found, F.size(part)).otherwise(F.size(lines(text))).alias("count"))
+                    F.when(found, F.size(part)).otherwise(F.size(lines(text))).alias("count"), F.when(found, i).alias("line"))
 
 
 def literal_snippet(content: Column, query: str) -> Column:

@@ -1,4 +1,4 @@
-"""Ranking: postings, BM25, phrases, nearest neighbours, reciprocal rank fusion."""
+"""Ranking from the index tables: BM25, phrases, nearest neighbours, reciprocal rank fusion."""
 from __future__ import annotations
 
 import math
@@ -9,77 +9,71 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators.index import Index
 
 K1, B = 1.2, 0.75
 
 
-def _is(term: str):
-    return lambda x: x["term"] == term
+def idf(n: float, df: float) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def _back(offset: int):
-    return lambda x: x["pos"] - offset
+def _idf(n: float, df):
+    return F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
 
 
-def token_rows(docs: DataFrame) -> DataFrame:
-    """docs (row_id, content) -> (row_id, pos, term)."""
-    return docs.select("row_id", F.explode(T.tokens(F.col("content"))).alias("t")).select("row_id", "t.pos", "t.term")
+def _saturated(tf, dl, avgdl: float):
+    return (K1 + 1) * tf / (tf + K1 * (1 - B + B * dl / F.lit(avgdl or 1.0)))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, row_id, tf, positions). Grouped by (row, term): no term is ever gathered in one task."""
-    return token_rows(docs).groupBy("term", "row_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+def _hits(index: Index, terms: list[str]) -> DataFrame:
+    """The postings of the terms: the filter reaches the scan, whose files are sorted by term."""
+    return index.alive(index.postings.filter(F.col("term").isin(terms)))
 
 
-def doc_lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("row_id", F.size(T.tokens(F.col("content"))).cast("long").alias("dl"))
+def bm25(index: Index, terms: list[str]) -> DataFrame:
+    """(row_id, part, score) of rows with any of the terms, from their postings alone."""
+    terms = list(dict.fromkeys(terms))
+    hit = _hits(index, terms).select("term", "row_id", "part", F.col("tf").cast("double").alias("tf"), F.col("dl").cast("double").alias("dl"))
+    df = hit.groupBy("term").agg(F.count("*").cast("double").alias("df"))  # a row a query word
+    scored = hit.join(F.broadcast(df), "term").withColumn("s", _idf(index.n, F.col("df")) * _saturated(F.col("tf"), F.col("dl"), index.avgdl))
+    return scored.groupBy("row_id", "part").agg(F.sum("s").alias("score"))
 
 
-def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(row_id, score) of rows with any of the terms. One scan: term counts are taken inside each row, no explode."""
-    toks = T.tokens(F.col("content"))
-    base = docs.select("row_id", toks.alias("toks"))
-    tf = [F.size(F.filter("toks", _is(t))).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = base.select("row_id", F.size("toks").cast("double").alias("dl"), *tf)
-    stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"),
-                     *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        t = F.col(f"tf{i}")
-        score = score + idf * (K1 + 1) * t / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    any_term = sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0.0)) > 0
-    return rows.filter(any_term).crossJoin(F.broadcast(stats)).select("row_id", score.alias("score"))
+def phrase(index: Index, words: list[str], offsets: list[int] | None = None) -> DataFrame:
+    """(row_id, part, dl, tf): how often the words stand at the given relative positions. From positions alone; a row's lists,
+    one a query word, meet by row, and only their starts in common count."""
+    offsets = offsets or list(range(len(words)))
+    places = F.create_map(*[x for w in dict.fromkeys(words) for x in (F.lit(w), F.array(*[F.lit(o) for v, o in zip(words, offsets) if v == w]))])
+    hit = _hits(index, list(dict.fromkeys(words))).select("row_id", "part", "dl", "positions", F.explode(F.element_at(places, F.col("term"))).alias("o"))
+    starts = hit.select("row_id", "part", "dl", F.transform("positions", lambda p: p - F.col("o")).alias("starts"))
+    met = starts.groupBy("row_id", "part", "dl").agg(F.collect_list("starts").alias("all")).filter(F.size("all") == len(words))
+    tf = F.size(F.aggregate(F.slice("all", 2, max(1, len(words))), F.get("all", F.lit(0)), F.array_intersect))
+    return met.select("row_id", "part", "dl", tf.cast("long").alias("tf")).filter("tf > 0")
 
 
-def bm25_indexed(posts: DataFrame, lengths: DataFrame, n: int, avgdl: float, terms: list[str]) -> DataFrame:
-    """The same from index tables: the term filter reaches the postings scan; df comes from the postings read."""
-    hit = posts.filter(F.col("term").isin(terms)).select("term", "row_id", F.col("tf").cast("double").alias("tf"))
-    df = hit.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    joined = hit.join(F.broadcast(df), "term").join(lengths, "row_id")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return joined.groupBy("row_id").agg(F.sum(part).alias("score"))
+def phrase_bm25(index: Index, words: list[str], offsets: list[int] | None = None) -> DataFrame:
+    """(row_id, part, score): BM25 of the phrase's frequency, weighed by the sum of its words' IDF. One word: plain BM25."""
+    df = _hits(index, list(dict.fromkeys(words))).groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    repeats = F.create_map(*[x for w in dict.fromkeys(words) for x in (F.lit(w), F.lit(float(words.count(w))))])
+    weight = df.agg(F.sum(_idf(index.n, F.col("df")) * F.element_at(repeats, F.col("term"))).alias("weight"))  # one row
+    found = phrase(index, words, offsets).join(F.broadcast(weight))
+    return found.select("row_id", "part", (F.col("weight") * _saturated(F.col("tf").cast("double"), F.col("dl").cast("double"), index.avgdl)).alias("score"))
 
 
-def phrase(docs: DataFrame, words: list[str], offsets: list[int] | None = None) -> DataFrame:
-    """(row_id, tf): how often the words stand at the given relative positions, decided inside each row."""
-    offsets = offsets or list(range(len(words)))
-    toks = T.tokens(F.col("content"))
-    base = docs.select("row_id", toks.alias("toks"))
-    starts = None
-    for w, o in zip(words, offsets):
-        p = F.transform(F.filter("toks", _is(w)), _back(o))
-        starts = p if starts is None else F.array_intersect(starts, p)
-    return base.select("row_id", F.size(starts).cast("long").alias("tf")).filter("tf > 0")
+def top(scored: DataFrame, k: int) -> DataFrame:
+    """The k best of (row_id, ..., score), scores rounded to 9 decimals so that ties are ties everywhere, then by row_id."""
+    return scored.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "row_id").limit(k)
 
 
 def knn(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """vectors (doc_id, embedding) -> the k nearest by cosine: (doc_id, similarity, rank). One TakeOrderedAndProject."""
+    """vectors (doc_id, embedding) -> the k nearest by cosine: (doc_id, similarity, closeness, rank). One TakeOrderedAndProject.
+    closeness is 1 / (1 + distance). A vector of another dimension than the query's is an error."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    sim = vectors.select("doc_id", T.cosine(F.col("embedding"), q).alias("similarity"))
-    top = sim.orderBy(F.desc("similarity"), "doc_id").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "doc_id")).cast("long"))
+    wrong = F.raise_error(F.concat(F.lit(f"vector dimension mismatch: expected {len(query)}, got "), F.size("embedding").cast("string"))).cast("double")
+    sim = F.when(F.size("embedding") != len(query), wrong).otherwise(T.cosine(F.col("embedding"), q))
+    best = vectors.select("doc_id", sim.alias("similarity")).orderBy(F.desc("similarity"), "doc_id").limit(k)
+    return best.select("doc_id", "similarity", (1 / (2 - F.col("similarity"))).alias("closeness"), F.row_number().over(Window.orderBy(F.desc("similarity"), "doc_id")).cast("long").alias("rank"))
 
 
 NO_ID = -(1 << 63)
@@ -128,7 +122,3 @@ def rrf(text_hits: DataFrame, vector_hits: DataFrame, text_weight: float = 0.5,
     g = g.select("doc_id", F.coalesce("t", F.lit(0.0)).alias("t"), "v")
     kind = F.when((F.col("t") > 0) & (F.col("v") > 0), "Hybrid").when(F.col("v") > 0, "Semantic").otherwise("Text")
     return g.select("doc_id", (F.col("t") + F.col("v")).alias("score"), kind.alias("match_type"))
-
-
-def idf(n: float, df: float) -> float:
-    return math.log(1 + (n - df + 0.5) / (df + 0.5))

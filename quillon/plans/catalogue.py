@@ -4,11 +4,13 @@ documents stand in for files: path = source/doc_id.lang, row_id = doc_id, one fi
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from quillon.functions import text as T
 from quillon.functions.regex_dialect import to_java
+from quillon.operators import index as tables
 from quillon.operators import rank, search
+from quillon.operators.index import Index
+from quillon.scratch import scratch
 
 PATH = "source || '/' || doc_id || '.' || lang"
 
@@ -19,6 +21,23 @@ def corpus(spark, d):
     return t.select(F.col("doc_id").alias("row_id"), "doc_id", path.alias("path"), F.col("text").alias("content"), F.lit(1).alias("line_start"))
 
 
+_INDEXES: dict = {}
+
+
+def index(spark, d) -> Index:
+    """The search index of the documents, built once for each state of the table and session; like any search engine's, it
+    is written once and then serves all queries."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    state = tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))
+    key = (spark.sparkContext.applicationId, str(d), state)
+    if key not in _INDEXES:
+        root = scratch(spark, "index")
+        tables.write(corpus(spark, d), f"{root}/rows", f"{root}/postings")
+        _INDEXES[key] = tables.load(spark, f"{root}/rows", f"{root}/postings")
+    return _INDEXES[key]
+
+
 def pages(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("row_id"), "url", F.col("html").alias("content"))
 
@@ -59,23 +78,19 @@ def literal_filter(spark, d):
 
 @query(f"WITH {bm25_sql(['license'])} SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 10")
 def literal_topk_bm25(spark, d):
-    s = rank.bm25(corpus(spark, d), ["license"]).withColumn("r", F.round("score", 9))
-    return s.orderBy(F.desc("r"), "row_id").limit(10).select(F.col("row_id").alias("doc_id"), F.round("r", 6).alias("score"))
+    return rank.top(rank.bm25(index(spark, d), ["license"]), 10).select(F.col("row_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {bm25_sql(['on', 'the'])}, c AS (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 200), m AS (SELECT max(score) AS best FROM c)
 SELECT doc_id, round(score / best, 6) AS score FROM c JOIN documents USING (doc_id), m WHERE contains(lower(text), 'on the') ORDER BY c.score DESC, doc_id LIMIT 20""")
 def gated_search(spark, d):
-    return search.search(corpus(spark, d), "on the", 20).select("doc_id", "score")
+    return search.search(index(spark, d), "on the", 20).select("doc_id", "score")
 
 
 @query(f"""WITH {bm25_sql(['on', 'the'])} SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM documents LEFT JOIN sc USING (doc_id)
 WHERE contains(lower(text), 'on the') ORDER BY coalesce(sc.score, 0) DESC, doc_id LIMIT 20""")
 def exact_search(spark, d):
-    docs = corpus(spark, d)
-    s = docs.filter(T.contains_ci(F.col("content"), "on the")).join(rank.bm25(docs, ["on", "the"]), "row_id", "left")
-    s = s.withColumn("r", F.round(F.coalesce("score", F.lit(0.0)), 9))
-    return s.orderBy(F.desc("r"), "doc_id").limit(20).select("doc_id", F.round("r", 6).alias("score"))
+    return search.search(index(spark, d), "on the", 20, mode="exact").select("doc_id", "score")
 
 
 @query(r"""WITH l AS (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS ls FROM documents WHERE contains(lower(text), 'license')),
@@ -94,24 +109,22 @@ def regex_search(spark, d):
 @query(rf"""WITH {TOKROWS} SELECT a.doc_id, count(*) AS tf FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1""")
 def phrase_search(spark, d):
-    return rank.phrase(corpus(spark, d), ["of", "the"]).select(F.col("row_id").alias("doc_id"), "tf")
+    return rank.phrase(index(spark, d), ["of", "the"]).select(F.col("row_id").alias("doc_id"), "tf")
 
 
 @query(rf"WITH {TOKROWS} SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1")
 def token_stats(spark, d):
-    per = rank.token_rows(corpus(spark, d)).groupBy("term", "row_id").agg(F.count("*").alias("c"))
-    return per.groupBy("term").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
+    return index(spark, d).postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
 @query(rf"WITH {TOKROWS} SELECT d.doc_id, count(term) AS dl FROM documents d LEFT JOIN tok USING (doc_id) GROUP BY 1")
 def doc_lengths(spark, d):
-    return rank.doc_lengths(corpus(spark, d)).select(F.col("row_id").alias("doc_id"), "dl")
+    return index(spark, d).docs.select(F.col("row_id").alias("doc_id"), "dl")
 
 
 @query(rf"WITH {TOKROWS} SELECT term, doc_id, count(*) AS tf, min(pos)::BIGINT AS first_pos FROM tok GROUP BY 1, 2")
 def postings(spark, d):
-    p = rank.postings(corpus(spark, d))
-    return p.select("term", F.col("row_id").alias("doc_id"), "tf", F.element_at("positions", 1).cast("long").alias("first_pos"))
+    return index(spark, d).postings.select("term", F.col("row_id").alias("doc_id"), "tf", F.element_at("positions", 1).cast("long").alias("first_pos"))
 
 
 CHUNKS = r"""l AS (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS ls FROM documents),
@@ -148,9 +161,8 @@ def path_filter(spark, d):
 
 @query(f"WITH {bm25_sql(['the'])}, c AS (SELECT doc_id FROM sc ORDER BY score DESC, doc_id LIMIT 100) SELECT doc_id FROM c JOIN documents USING (doc_id) WHERE lang = 'fr' OR lang = 'en'")
 def post_limit_filter(spark, d):
-    docs = corpus(spark, d)
-    top = rank.bm25(docs, ["the"]).withColumn("r", F.round("score", 9)).orderBy(F.desc("r"), "row_id").limit(100)
-    return docs.join(F.broadcast(top), "row_id").filter(search.path_filter(extensions=["fr", "en"])).select("doc_id")
+    i = index(spark, d)
+    return i.fetch(rank.top(rank.bm25(i, ["the"]), 100), "doc_id", "path").filter(search.path_filter(extensions=["fr", "en"])).select("doc_id")
 
 
 @query("SELECT page_id FROM pages WHERE contains(url, '/a/') OR starts_with(url, 'a/') OR ends_with(url, '/a') OR ends_with(url, '.html') OR contains(url, '/item/') OR url = 'item' OR ends_with(url, '/item')")
@@ -219,8 +231,7 @@ h AS (SELECT doc_id, round(t + v, 6) AS score, CASE WHEN t > 0 AND v > 0 THEN 'H
 
 
 def _fused(spark, d):
-    top = rank.bm25(corpus(spark, d), ["the"]).withColumn("r", F.round("score", 9)).orderBy(F.desc("r"), "row_id").limit(30)
-    text = top.select(F.col("row_id").alias("doc_id"), F.row_number().over(Window.orderBy(F.desc("r"), "row_id")).alias("rank"))
+    text = search.phrase_hits(index(spark, d), "the", 30).select(F.col("row_id").alias("doc_id"), "rank")
     return rank.rrf(text, _nearest(spark, d, 30)).withColumn("score", F.round("score", 6))
 
 
@@ -274,7 +285,7 @@ def regex_snippet(spark, d):
 @query(f"""WITH {bm25_sql(['the', 'on'])}, c AS (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 400), m AS (SELECT max(score) AS best FROM c)
 SELECT doc_id, round(score / best, 6) AS score FROM c JOIN documents USING (doc_id), m WHERE regexp_matches(text, 'the\\s+on', 'i') ORDER BY c.score DESC, doc_id LIMIT 20""")
 def regex_gate_terms(spark, d):
-    return search.search_regex(corpus(spark, d), r"the\s+on", 20).select("doc_id", "score")
+    return search.search_regex(index(spark, d), r"the\s+on", 20).select("doc_id", "score")
 
 
 QUERIES, ORACLE_SQL = Q, S

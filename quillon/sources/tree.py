@@ -1,21 +1,24 @@
-"""Source trees as DataFrames: a batch source (one partition a top-level entry) and a stream of changes.
+"""Source trees as DataFrames: a batch source that lists files, executor-side reading, and a stream of changes.
 
 Spark's own file lister drops names that begin with `_` and cannot report edits or deletions, hence these sources."""
 from __future__ import annotations
 
 import json
 import os
-from fnmatch import fnmatch
+import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from quillon.config import IGNORED_DIRS
+from quillon.config import IGNORED_DIRS, TEXT_EXTENSIONS, TEXT_NAMES, WATCH_IGNORED_DIRS
 
-TEXT_EXTENSIONS = set("rs py js ts jsx tsx java c h cpp hpp cc go rb php cs swift kt scala sh bash sql html css scss json yaml yml toml xml md txt rst ini cfg conf lua pl r jl ex exs erl hs ml vue svelte tf proto graphql".split())
-TEXT_NAMES = {"Makefile", "Dockerfile", "LICENSE", "README", "Gemfile", "Rakefile", "CHANGELOG", "Jenkinsfile"}
-SCHEMA = "path string, canonical string, is_symlink boolean, mtime long, size long, content string, status string"
+LISTED = "path string, canonical string, is_symlink boolean, status string"
+READ = "path string, canonical string, is_symlink boolean, mtime long, size long, content string, status string"
+CHANGES = "seq long, kind string, path string, error string"
+#: statuses of entries that are not files to read
+SKIPS = ("circular_symlink", "symlink_not_followed", "broken_symlink", "duplicate", "not_found")
 
 
 def _skip(name: str) -> bool:
@@ -23,25 +26,61 @@ def _skip(name: str) -> bool:
 
 
 def walk(root: str, top: str, follow: bool = True):
-    """(absolute path, is_symlink) below root/top in name order; hidden and ignored directories are pruned, cycles cut."""
-    stack, seen = [os.path.join(root, top)], set()
+    """(absolute path, is_symlink, status) below root/top in name order. Hidden names and ignored directories are pruned; links
+    that lead nowhere, back up or may not be followed are put out with the reason instead of 'ok'."""
+    stack = [(os.path.join(root, top), ())]
     while stack:
-        p = stack.pop()
-        if _skip(os.path.basename(p)) or (os.path.islink(p) and not follow) or not os.path.exists(p):
+        p, above = stack.pop()
+        link = os.path.islink(p)
+        if os.path.basename(p).startswith("."):
             continue
-        if os.path.isdir(p):
+        if link and not follow:
+            yield p, True, "symlink_not_followed"
+        elif not os.path.exists(p):
+            yield p, link, "broken_symlink" if link else "not_found"
+        elif os.path.isdir(p):
             real = os.path.realpath(p)
-            if real not in seen:
-                seen.add(real)
-                stack += [os.path.join(p, x) for x in sorted(os.listdir(p), reverse=True)]
+            if real in above or (link and os.path.realpath(root).startswith(real.rstrip("/") + "/")) or real == os.path.realpath(root):
+                yield p, link, "circular_symlink"
+            elif not _skip(os.path.basename(p)):
+                stack += [(os.path.join(p, x), (*above, real)) for x in sorted(os.listdir(p), reverse=True)]
         elif os.path.isfile(p):
-            yield p, os.path.islink(p)
+            yield p, link, "ok"
 
 
-def is_text(path: str, data: bytes) -> bool:
+def symlink_targets(root: str) -> list[str]:
+    """Distinct directories outside the pruned ones that links below root lead to."""
+    found = set()
+    for at, dirs, _ in os.walk(root):
+        for x in dirs:
+            p = os.path.join(at, x)
+            real = os.path.realpath(p)
+            if os.path.islink(p) and os.path.isdir(real) and not any(part in WATCH_IGNORED_DIRS for part in real.split("/")):
+                found.add(real)
+    return sorted(found)
+
+
+def extension(path: str) -> str:
     name = os.path.basename(path)
-    ext = name.rpartition(".")[2].lower() if "." in name[1:] else ""
-    return ext in TEXT_EXTENSIONS or name in TEXT_NAMES or b"\0" not in data[:8192]
+    return name.rpartition(".")[2].lower() if "." in name[1:] else ""
+
+
+def is_text(path: str, data: bytes) -> bool:
+    return extension(path) in TEXT_EXTENSIONS or os.path.basename(path).lower() in TEXT_NAMES or b"\0" not in data[:8192]
+
+
+def watch_indexable(path: str) -> bool:
+    """The watcher's narrower test: by extension alone."""
+    return extension(path) in TEXT_EXTENSIONS
+
+
+def under_root(path: str, roots: list[str]) -> bool:
+    return any(path == r or path.startswith(r.rstrip("/") + "/") for r in roots)
+
+
+def watched(rel: str) -> bool:
+    """No component of a path below a watched root is hidden or ignored."""
+    return not any(x.startswith(".") or x in WATCH_IGNORED_DIRS for x in rel.split("/"))
 
 
 def read_file(path: str, limit: int):
@@ -57,23 +96,36 @@ def read_file(path: str, limit: int):
 
 
 class TreeReader(DataSourceReader):
+    """Lists paths only. Top directories are opened on the driver until there are SPREAD of them, so one big directory is
+    listed by many tasks; reading is spread by the rows themselves."""
+
+    SPREAD = 64
+
     def __init__(self, options):
-        self.root = os.path.realpath(options["path"])
-        self.limit, self.follow = int(options.get("maxfilesize", 10 << 20)), options.get("followsymlinks", "true") == "true"
+        self.root, self.follow = os.path.realpath(options["path"]), options.get("followsymlinks", "true") == "true"
 
     def partitions(self):
-        return [InputPartition(x) for x in sorted(os.listdir(self.root))] or [InputPartition("")]
+        tops, depth = sorted(os.listdir(self.root)), 0
+        while len(tops) < self.SPREAD and depth < 4:
+            opened = []
+            for t in tops:
+                p = os.path.join(self.root, t)
+                plain = os.path.isdir(p) and not os.path.islink(p) and not _skip(os.path.basename(p))
+                opened += [os.path.join(t, x) for x in sorted(os.listdir(p))] if plain else [t]
+            if opened == tops:
+                break
+            tops, depth = opened, depth + 1
+        return [InputPartition(x) for x in tops] or [InputPartition("")]
 
     def read(self, partition):
         if not partition.value:
             return
-        for p, link in walk(self.root, partition.value, self.follow):
-            size, content, status = read_file(p, self.limit)
-            yield os.path.relpath(p, self.root), os.path.realpath(p), link, int(os.path.getmtime(p)), size, content, status
+        for p, link, status in walk(self.root, partition.value, self.follow):
+            yield os.path.relpath(p, self.root), os.path.realpath(p), link, status
 
 
 class TreeStream(SimpleDataSourceStreamReader):
-    """Each batch is the difference between two snapshots {path: mtime_ns}; the offset is the snapshot."""
+    """Each batch is the difference between two snapshots {path: mtime_ns, directories: -1}; the offset is the snapshot."""
 
     def __init__(self, options):
         self.root = os.path.realpath(options["path"])
@@ -82,12 +134,27 @@ class TreeStream(SimpleDataSourceStreamReader):
         return {"files": "{}"}
 
     def _snapshot(self):
-        return {os.path.relpath(p, self.root): os.stat(p).st_mtime_ns for top in sorted(os.listdir(self.root)) for p, _ in walk(self.root, top)}
+        if not os.path.isdir(self.root):
+            return {"": -2}
+        seen = {}
+        for root in [self.root, *[t for t in symlink_targets(self.root) if not under_root(t, [self.root])]]:
+            for at, dirs, names in os.walk(root):
+                dirs[:] = sorted(d for d in dirs if watched(d) and not os.path.islink(os.path.join(at, d)))
+                for d in dirs:
+                    seen[os.path.relpath(os.path.join(at, d), self.root)] = -1
+                for x in names:
+                    p = os.path.join(at, x)
+                    if watched(x) and watch_indexable(p) and os.path.isfile(p):
+                        seen[os.path.relpath(p, self.root)] = os.stat(p).st_mtime_ns
+        return seen
 
     def _diff(self, start, end):
         old, new = json.loads(start["files"]), json.loads(end["files"])
-        rows = [("Changed", p) for p in sorted(new) if old.get(p) != new[p]] + [("Deleted", p) for p in sorted(old) if p not in new]
-        return [(i, k, p) for i, (k, p) in enumerate(rows)]
+        if new.get("") == -2:
+            return [(0, "Error", "", f"{self.root} is gone")]
+        rows = [("DirCreated" if new[p] == -1 else "Changed", p) for p in sorted(new) if old.get(p) != new[p]]
+        rows += [("DirDeleted" if old[p] == -1 else "Deleted", p) for p in sorted(old) if p not in new and p]
+        return [(i, k, p, None) for i, (k, p) in enumerate(rows)]
 
     def read(self, start):
         end = {"files": json.dumps(self._snapshot(), sort_keys=True)}
@@ -103,7 +170,7 @@ class TreeSource(DataSource):
         return "source_tree"
 
     def schema(self):
-        return SCHEMA if self.options.get("mode", "files") == "files" else "seq long, kind string, path string"
+        return LISTED if self.options.get("mode", "files") == "files" else CHANGES
 
     def reader(self, schema):
         return TreeReader(self.options)
@@ -112,27 +179,71 @@ class TreeSource(DataSource):
         return TreeStream(self.options)
 
 
-def gitignore_predicate(root: str):
-    """The root .gitignore only; `*` and directory patterns, `!` re-includes."""
-    path, rules = os.path.join(root, ".gitignore"), []
-    if os.path.exists(path):
-        with open(path) as f:
-            rules = [x.strip() for x in f if x.strip() and not x.startswith("#")]
-
-    def ignored(rel: str) -> bool:
-        hit = False
-        for r in rules:
-            pat = r.lstrip("!").strip("/")
-            parts = rel.split("/")
-            if any(fnmatch(x, pat) for x in parts) or fnmatch(rel, pat) or rel.startswith(pat + "/"):
-                hit = not r.startswith("!")
-        return hit
-    return ignored
+def _regex(rule: str) -> str:
+    """A rule of .gitignore as a regular expression over root-relative paths."""
+    body = rule.strip("/")
+    out, i = "", 0
+    while i < len(body):
+        if body.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif body.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif body[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif body[i] == "?":
+            out, i = out + "[^/]", i + 1
+        else:
+            out, i = out + re.escape(body[i]), i + 1
+    anchored = "/" in rule.rstrip("/")
+    return ("^" if anchored else "(?:^|/)") + out + ("/" if rule.endswith("/") else "(?:/|$)")
+
+
+def gitignored(root: str, path):
+    """Column: the root .gitignore drops the path; the last rule that fits decides. Rules become patterns on the driver."""
+    file, out = os.path.join(root, ".gitignore"), F.lit(False)
+    if os.path.exists(file):
+        with open(file, encoding="utf-8", errors="replace") as f:
+            for rule in (x.strip() for x in f):
+                if rule and not rule.startswith("#"):
+                    out = F.when(F.rlike(path, F.lit(_regex(rule.lstrip("!")))), F.lit(not rule.startswith("!"))).otherwise(out)
+    return out
+
+
+def read_paths(listed: DataFrame, root: str, max_file_size: int = 10 << 20) -> DataFrame:
+    """LISTED rows -> READ rows. Files are read where the rows are, from a file system that all executors share; rows whose
+    status is not 'ok', and files that cannot be read, have no content. A null canonical path is looked up; a link to a file
+    that has a path of its own below root is its duplicate."""
+    root = os.path.realpath(root)
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                p, stamp, size, content, status = os.path.join(root, r["path"]), 0, 0, None, r["status"]
+                if r["canonical"] is None and status == "ok":
+                    r["canonical"] = os.path.realpath(p)
+                    if r["canonical"] != p and under_root(r["canonical"], [root]):
+                        status = "duplicate"
+                if status == "ok":
+                    try:
+                        stamp = int(os.path.getmtime(p))
+                        size, content, status = read_file(p, max_file_size)
+                    except OSError:
+                        status = "not_found"
+                row = [r["path"], r["canonical"], r["is_symlink"], stamp, size, content, status]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
+                                                 ["path", "canonical", "is_symlink", "mtime", "size", "content", "status"])
+    return listed.select("path", "canonical", "is_symlink", "status").mapInArrow(run, READ)
+
+
+def listing(spark: SparkSession, root: str, follow_symlinks: bool = True) -> DataFrame:
+    """LISTED rows of all entries; of the paths to one canonical file the first non-link path is 'ok', the others 'duplicate'."""
+    spark.dataSource.register(TreeSource)
+    f = spark.read.format("source_tree").option("path", root).option("followSymlinks", str(follow_symlinks).lower()).load()
+    first = Window.partitionBy("canonical", F.col("status") == "ok").orderBy("is_symlink", "path")
+    again = (F.row_number().over(first) > 1) & (F.col("status") == "ok")
+    return f.withColumn("status", F.when(again, "duplicate").otherwise(F.col("status")))
 
 
 def files(spark: SparkSession, root: str, max_file_size: int = 10 << 20, follow_symlinks: bool = True) -> DataFrame:
-    """One row a distinct canonical file; the first path in order stands for links and duplicates."""
-    spark.dataSource.register(TreeSource)
-    f = spark.read.format("source_tree").option("path", root).option("maxFileSize", str(max_file_size)).option("followSymlinks", str(follow_symlinks).lower()).load()
-    first = Window.partitionBy("canonical").orderBy("is_symlink", "path")
-    return f.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
+    """READ rows of all entries below root."""
+    return read_paths(listing(spark, root, follow_symlinks), root, max_file_size)
