@@ -93,12 +93,16 @@ def exact_search(spark, d):
     return search.search(index(spark, d), "on the", 20, mode="exact").select("doc_id", "score")
 
 
+def snippets(docs, snip):
+    s = docs.withColumn("s", snip)
+    return s.select("doc_id", (F.col("s.offset") + 1).cast("long").alias("line_start"), (F.col("s.offset") + F.col("s.count")).cast("long").alias("line_end"), F.col("s.text").alias("snippet"))
+
+
 @query(r"""WITH l AS (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS ls FROM documents WHERE contains(lower(text), 'license')),
 p AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: contains(lower(x), 'license')), true) - 1 AS i FROM l)
-SELECT doc_id, (greatest(i - 2, 0) + 1)::BIGINT AS line_start, least(i + 8, len(ls))::BIGINT AS line_end FROM p""")
+SELECT doc_id, (greatest(i - 2, 0) + 1)::BIGINT AS line_start, least(i + 8, len(ls))::BIGINT AS line_end, array_to_string(ls[greatest(i - 2, 0) + 1 : least(i + 8, len(ls))], chr(10)) AS snippet FROM p""")
 def snippet_lines(spark, d):
-    s = corpus(spark, d).filter(T.contains_ci(F.col("content"), "license")).withColumn("s", T.literal_snippet(F.col("content"), "license"))
-    return s.select("doc_id", (F.col("s.offset") + 1).cast("long").alias("line_start"), (F.col("s.offset") + F.col("s.count")).cast("long").alias("line_end"))
+    return snippets(corpus(spark, d).filter(T.contains_ci(F.col("content"), "license")), T.literal_snippet(F.col("content"), "license"))
 
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, 'licen[sc]e\s+\w+|^the', 'i')")
@@ -170,9 +174,14 @@ def glob_ignore(spark, d):
     return pages(spark, d).filter(T.any_glob(F.col("url"), ["**/a/**", "*.html", "item"])).select(F.col("row_id").alias("page_id"))
 
 
-@query("SELECT page_id FROM pages WHERE regexp_matches(url, '(^|/)[.]')")
+# no supplied url is hidden, so every third path gets a hidden directory and every fifth a hidden name
+@query("""WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'a/.b/' ELSE 'a/b/' END || CASE WHEN page_id % 5 = 0 THEN '.' ELSE 'x.' END || page_id AS path FROM pages)
+SELECT page_id FROM p WHERE NOT regexp_matches(path, '(^|/)[.]')""")
 def hidden_prune(spark, d):
-    return pages(spark, d).filter(T.hidden(F.col("url"))).select(F.col("row_id").alias("page_id"))
+    p = pages(spark, d).select(F.col("row_id").alias("page_id"))
+    folder = F.when(F.col("page_id") % 3 == 0, "a/.b/").otherwise("a/b/")
+    name = F.concat(F.when(F.col("page_id") % 5 == 0, ".").otherwise("x."), F.col("page_id").cast("string"))
+    return p.filter(~T.hidden(F.concat(folder, name)))
 
 
 @query(f"SELECT doc_id FROM documents WHERE source IN ('src3', 'src4')")
@@ -180,9 +189,9 @@ def ignored_dirs(spark, d):
     return corpus(spark, d).filter(T.in_directories(F.col("path"), ["src3", "src4"])).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE strlen(text) <= 10485760")
+@query("SELECT doc_id, CASE WHEN strlen(text) > 2000 THEN 'skipped' ELSE 'ok' END AS status FROM documents")
 def size_guard(spark, d):
-    return corpus(spark, d).filter(F.octet_length("content") <= 10485760).select("doc_id")
+    return corpus(spark, d).select("doc_id", F.when(F.octet_length("content") > 2000, "skipped").otherwise("ok").alias("status"))  # a limit that parts the rows
 
 
 @query("SELECT doc_id FROM documents WHERE strlen(text) BETWEEN 50 AND 50000")
@@ -275,11 +284,10 @@ def display_score(spark, d):
 
 @query(r"""WITH l AS (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS ls FROM documents WHERE regexp_matches(text, 'licen[sc]e', 'i')),
 p AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: regexp_matches(x, 'licen[sc]e', 'i')), true) - 1 AS i FROM l)
-SELECT doc_id, (greatest(i - 2, 0) + 1)::BIGINT AS line_start, least(i + 8, len(ls))::BIGINT AS line_end FROM p""")
+SELECT doc_id, (greatest(i - 2, 0) + 1)::BIGINT AS line_start, least(i + 8, len(ls))::BIGINT AS line_end, array_to_string(ls[greatest(i - 2, 0) + 1 : least(i + 8, len(ls))], chr(10)) AS snippet FROM p""")
 def regex_snippet(spark, d):
     java = to_java("licen[sc]e")
-    s = corpus(spark, d).filter(F.rlike("content", F.lit(java))).withColumn("s", T.regex_snippet(F.col("content"), java))
-    return s.select("doc_id", (F.col("s.offset") + 1).cast("long").alias("line_start"), (F.col("s.offset") + F.col("s.count")).cast("long").alias("line_end"))
+    return snippets(corpus(spark, d).filter(F.rlike("content", F.lit(java))), T.regex_snippet(F.col("content"), java))
 
 
 @query(f"""WITH {bm25_sql(['the', 'on'])}, c AS (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 400), m AS (SELECT max(score) AS best FROM c)
@@ -288,4 +296,52 @@ def regex_gate_terms(spark, d):
     return search.search_regex(index(spark, d), r"the\s+on", 20).select("doc_id", "score")
 
 
+PHRASE = rf"""WITH {TOKROWS}, dl AS (SELECT d.doc_id, count(t.term)::double AS dl FROM documents d LEFT JOIN tok t USING (doc_id) GROUP BY 1),
+st AS (SELECT count(*)::double AS n, avg(dl) AS avgdl FROM dl),
+ph AS (SELECT a.doc_id, count(*)::double AS tf FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1),
+df AS (SELECT term, count(DISTINCT doc_id)::double AS df FROM tok WHERE term IN ('of', 'the') GROUP BY 1),
+w AS (SELECT sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double))) AS w FROM df, st),
+sc AS (SELECT doc_id, round(w * 2.2::double * tf / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl)), 9) AS score FROM ph JOIN dl USING (doc_id), st, w)"""
+
+
+@query(PHRASE + " SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY sc.score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 30")
+def phrase_bm25(spark, d):
+    return search.phrase_hits(index(spark, d), "of the", 30).select(F.col("row_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(PHRASE + f""", {KNN.format(30)}, b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 30)),
+v AS (SELECT doc_id, row_number() OVER (ORDER BY sim DESC, doc_id) AS r FROM knn),
+u AS (SELECT doc_id, 0.5::double / (60 + r) AS t, 0::double AS v FROM b UNION ALL SELECT doc_id, 0, 0.5::double / (60 + r) FROM v),
+g AS (SELECT doc_id, sum(t) AS t, sum(v) AS v FROM u GROUP BY 1)
+SELECT doc_id, round(t + v, 6) AS score, CASE WHEN t > 0 AND v > 0 THEN 'Hybrid' WHEN v > 0 THEN 'Semantic' ELSE 'Text' END AS match_type
+FROM g JOIN documents USING (doc_id) WHERE lang IN ('en', 'fr') ORDER BY round(t + v, 12) DESC, doc_id LIMIT 10""")
+def hybrid_search(spark, d):
+    """The shipped hybrid search with an extension filter."""
+    v = vectors(spark, d)
+    q = v.filter("doc_id = 0").select("embedding").first()[0]
+    return search.search_hybrid(index(spark, d), v, "of the", q, 10, extensions=["en", "fr"]).select("doc_id", "score", "match_type")
+
+
+@query("SELECT user_id AS path, arg_max(event_type, event_id) AS kind, max(event_id) AS seq FROM events WHERE event_type <> 'view' GROUP BY 1")
+def stream_apply(spark, d):
+    """A change log read as a stream, in micro-batches, each upserted by key into a table: the last event of a key wins."""
+    root = scratch(spark, "stream")
+    source = spark.read.parquet(f"{d}/events.parquet")
+    source.repartitionByRange(3, "event_id").write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log").filter("event_type <> 'view'")
+    state = {"at": None}
+
+    def upsert(batch, n):
+        rows = batch.select(F.col("user_id").alias("path"), F.col("event_type").alias("kind"), F.col("event_id").alias("seq"))
+        if state["at"]:
+            rows = rows.unionByName(spark.read.parquet(state["at"]))
+        to = f"{root}/table-{n}"
+        rows.groupBy("path").agg(F.max_by("kind", "seq").alias("kind"), F.max("seq").alias("seq")).write.mode("overwrite").parquet(to)
+        state["at"] = to
+
+    q = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(state["at"])
+
+
 QUERIES, ORACLE_SQL = Q, S

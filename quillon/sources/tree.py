@@ -49,13 +49,13 @@ def walk(root: str, top: str, follow: bool = True):
 
 
 def symlink_targets(root: str) -> list[str]:
-    """Distinct directories outside the pruned ones that links below root lead to."""
+    """Distinct directories that links below root lead to, but for those with an ignored name."""
     found = set()
     for at, dirs, _ in os.walk(root):
         for x in dirs:
             p = os.path.join(at, x)
             real = os.path.realpath(p)
-            if os.path.islink(p) and os.path.isdir(real) and not any(part in WATCH_IGNORED_DIRS for part in real.split("/")):
+            if os.path.islink(p) and os.path.isdir(real) and os.path.basename(real) not in WATCH_IGNORED_DIRS:
                 found.add(real)
     return sorted(found)
 
