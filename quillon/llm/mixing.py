@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialise
 
-CHUNK = 32
+#: units a group of fights holds; size classes an octave
+CHUNK, FINE = 32, 4
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -30,27 +31,30 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most
 
 
 def _fold(level: int, seed: int):
-    """SQL that plays the units of xs against each other: entries (id, p), result (done array<(uid, take)>, rest (uid, p))."""
+    """SQL that plays the units of xs against each other: entries (size, uid, p), result (done array<(uid, take)>, rest (uid, p,
+    size)). A fight moves words from one unit to the other, up or dn, until one of the two is integral; the sum of p * size
+    stays, and chance is such that every unit's expected p stays too."""
     u = f"(pmod(xxhash64(acc.uid, x.uid, {seed}, {level}), 1000003) + 0.5) / 1000003"
-    s = "acc.p + x.p"
-    # one of the two becomes integral: below 1 the loser drops to 0, from 1 on the winner rises to 1
-    win = f"(CASE WHEN {s} < 1 THEN ({u}) * ({s}) < acc.p ELSE ({u}) * (2 - ({s})) < 1 - x.p END)"
+    up, dn = "least((1 - acc.p) * acc.size, x.p * x.size)", "least(acc.p * acc.size, (1 - x.p) * x.size)"
+    gains = f"coalesce(({u}) * ({up} + {dn}) < {dn}, false)"
     kind = "array<struct<uid:bigint,take:int>>"
-    return f"""aggregate(xs, named_struct('uid', cast(null as bigint), 'p', cast(0 as double), 'done', cast(array() as {kind})),
-      (acc, x) -> CASE WHEN acc.uid IS NULL THEN named_struct('uid', x.uid, 'p', x.p, 'done', acc.done)
-        WHEN {s} < 1 THEN named_struct('uid', if({win}, acc.uid, x.uid), 'p', {s},
-            'done', concat(acc.done, array(named_struct('uid', if({win}, x.uid, acc.uid), 'take', 0))))
-        ELSE named_struct('uid', if({win}, x.uid, acc.uid), 'p', {s} - 1,
-            'done', concat(acc.done, array(named_struct('uid', if({win}, acc.uid, x.uid), 'take', 1)))) END)"""
+    acc_done = lambda take, p: f"named_struct('uid', x.uid, 'p', {p}, 'size', x.size, 'done', concat(acc.done, array(named_struct('uid', acc.uid, 'take', {take}))))"
+    x_done = lambda take, p: f"named_struct('uid', acc.uid, 'p', {p}, 'size', acc.size, 'done', concat(acc.done, array(named_struct('uid', x.uid, 'take', {take}))))"
+    return f"""aggregate(xs, named_struct('uid', cast(null as bigint), 'p', cast(0 as double), 'size', cast(0 as bigint), 'done', cast(array() as {kind})),
+      (acc, x) -> CASE WHEN acc.uid IS NULL THEN named_struct('uid', x.uid, 'p', x.p, 'size', x.size, 'done', acc.done)
+        WHEN {gains} AND (1 - acc.p) * acc.size <= x.p * x.size THEN {acc_done(1, f"x.p - {up} / x.size")}
+        WHEN {gains} THEN {x_done(0, f"acc.p + {up} / acc.size")}
+        WHEN acc.p * acc.size <= (1 - x.p) * x.size THEN {acc_done(0, f"x.p + {dn} / x.size")}
+        ELSE {x_done(1, f"acc.p - {dn} / acc.size")} END)"""
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, id_col="doc_id", text_col="text", source_col="source", keys: bool = False) -> DataFrame:
     """(doc_id, size, source, source_size, target, copies, taken), one row per row of docs.
 
     A document's expected copies are its source's target / size; the whole part is certain, the fraction is rounded by
-    pivotal fights between documents of one source and like size (so that words follow counts), in groups of about
-    CHUNK rows; each group leaves one undecided unit, which goes on to the next level of a reduction tree until one is
-    left a source, rounded by its hash. Groups are cut by hash from counts, so a hot source is many groups.
+    pivotal fights between documents of one source and like size, in groups of about CHUNK rows; fights conserve words, so
+    only the last undecided unit of a source departs from the target, by less than its own size. Each group leaves one
+    such unit, which goes on to the next level of a reduction tree until one is left a source, rounded to the nearer side. Groups are cut by hash from counts, so a hot source is many groups.
 
     Null text has size 0, null source is a source of its own; ids may repeat or be null (units are keyed by id, text
     and a hash of both; fully equal rows share a decision). Empty input gives no rows. Other columns are ignored.
@@ -62,7 +66,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: fl
     targets = materialise(source_targets(units, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rates = targets.select("source", "source_size", "target", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("p"))
-    klass = F.floor(F.log2(F.col("size") + 1) * 4).cast("int")
+    klass = F.floor(F.log2(F.col("size") + 1) * FINE).cast("int")
     shape = units.groupBy("source", klass.alias("klass")).agg(F.approx_count_distinct("uid").alias("n"))
     same = lambda x, y: x["source"].eqNullSafe(y["source"])
     live = units.select("uid", "source", "size", klass.alias("klass")).distinct()
@@ -78,16 +82,15 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: fl
     for level in range(levels + 1):
         group = ["source", "klass", "slot", "parts"] if level < levels else ["source"]
         xs = F.array_sort(F.collect_list(F.struct("size", "uid", "p"))).alias("xs")
-        folded = materialise(live.groupBy(*group).agg(xs, F.max("size").alias("size")).withColumn("f", F.expr(_fold(level, seed))).drop("xs"), f"fold{level}")
+        folded = materialise(live.groupBy(*group).agg(xs).withColumn("f", F.expr(_fold(level, seed))).drop("xs"), f"fold{level}")
         done = folded.select(F.explode("f.done").alias("d")).select("d.uid", "d.take")
         decided = done if decided is None else decided.unionByName(done)
-        rest = folded.select(*[c for c in ("source", "klass", "slot", "parts") if c in folded.columns], "size", F.col("f.uid").alias("uid"), F.col("f.p").alias("p"))
+        rest = folded.select(*[c for c in ("source", "klass", "slot", "parts") if c in folded.columns], F.col("f.size").alias("size"), F.col("f.uid").alias("uid"), F.col("f.p").alias("p"))
         if level < levels:
             up = F.greatest(F.lit(1), F.ceil(F.col("parts") / CHUNK)).cast("long")
             live = rest.withColumn("slot", F.pmod("slot", up)).withColumn("parts", up)
         else:
-            last = (F.pmod(F.xxhash64("uid", F.lit(seed), F.lit("last")), F.lit(1000003)) + 0.5) / 1000003
-            decided = decided.unionByName(rest.select("uid", (last < F.col("p")).cast("int").alias("take")))
+            decided = decided.unionByName(rest.select("uid", (F.col("p") > 0.5).cast("int").alias("take")))
     out = units.join(rates, same(units, rates)).drop(rates["source"]).join(decided, "uid", "left")
     copies = (F.col("base") + F.coalesce("take", F.lit(0))).cast("int")
     return out.select(*["uid"] * keys, "doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

@@ -80,3 +80,44 @@ def test_a_large_family_of_near_copies_makes_no_square_of_pairs(spark, monkeypat
     got = {x.doc_id for x in similar.near_copies(frame(spark, rows)).filter("doc_id = component_id").collect()}
     assert got == {0} | {1000 + i for i in range(50)}
     assert sum(sizes) < 20 * len(rows)
+
+
+def test_run_matches_brute_force(spark):
+    import collections
+    import re
+
+    from quillon.llm import toxicity
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    a = toxicity.automaton(toxicity.fit(docs, labels))
+    rows = [r for r in docs.collect() if toxicity.score_text(a, r.text) < 0.7]
+    seen = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        seen.setdefault(re.sub("[\x20\x09-\x0d]+", " ", r.text or ""), r)
+    rows = sorted(seen.values(), key=lambda r: r.doc_id)
+    sets, where = [shingles(r.text) for r in rows], collections.defaultdict(list)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, s in enumerate(sets):
+        for j in {j for g in s for j in where[g]} | ({j for j in range(i) if not sets[j]} if not s else set()):
+            if 9 * len(s & sets[j]) >= 4 * (len(s) + len(sets[j])):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+        for g in s:
+            where[g].append(i)
+    kept = {rows[i].doc_id: rows[i] for i in range(len(rows)) if find(i) == i}
+    got = corpus_pipeline.run(spark, d).collect()
+    copies = collections.Counter(r.doc_id for r in got)
+    n = {i: len((r.text or "").split()) for i, r in kept.items()}
+    assert len(kept) < len(rows) < docs.count() and set(copies) <= set(kept) and max(copies.values()) <= 2
+    assert all(r.n_tokens == n[r.doc_id] for r in got)
+    assert abs(sum(n[i] * c for i, c in copies.items()) - 1.5 * sum(n.values())) < 0.05 * sum(n.values())
+    batches = collections.defaultdict(list)
+    for r in got:
+        batches[r.bucket, r.batch].append(r.padded)
+    assert all(len(b) == 1 or len(b) * max(1, b[0]) <= 32_768 for b in batches.values())
