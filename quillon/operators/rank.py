@@ -1,8 +1,6 @@
 """Ranking from the index tables: BM25, phrases, nearest neighbours, reciprocal rank fusion."""
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,10 +12,6 @@ from quillon.operators.index import Index
 K1, B = 1.2, 0.75
 
 
-def idf(n: float, df: float) -> float:
-    return math.log(1 + (n - df + 0.5) / (df + 0.5))
-
-
 def _idf(n: float, df):
     return F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
 
