@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents, materialise
+from .common import connected_components, documents, marked, materialise
 
 SEGMENTS, WIDTH = 4, 16
 HOT = 64
@@ -80,6 +81,35 @@ def links(fps: DataFrame, budget: int = 2) -> DataFrame:
     return near.unionByName(hot)
 
 
+def nearest_pivots(prints: DataFrame, budget: int = 6, segments: int = 10) -> DataFrame:
+    """prints (fp long, sig long, n long) -> pairs (a, b, na, nb) at budget or fewer differing bits, at most one row a text b.
+
+    Budgets too wide for links: budget differing bits leave segments - budget segments alike, each choice of so many is a
+    key. Each text meets the least text of every key (the pivot) by chain and Hamming distance as in links, and keeps the
+    nearest, so a family of m near copies makes less than m rows. Pairs of two texts that are no pivots are not listed.
+    prints is read three times and should be a written table.
+    """
+    prints = prints.repartition(1 + prints.count() // 8192)  # a row makes 210 keys
+    cuts = [64 * i // segments for i in range(segments + 1)]
+    ones = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:])]
+    signed = lambda x: F.lit(x - (1 << 64 if x >> 63 else 0)).cast("long")
+    masks = F.array(*[signed(sum(pick)) for pick in combinations(ones, segments - budget)])
+    keyed = prints.select(F.explode(masks).alias("mask"), "fp", "sig", "n").select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "sig", "n")
+    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("key").alias("rid")), "alike")
+    live = marked(keyed.withColumn("rid", F.col("key")), shared).filter("maybe").select("key", "fp", "sig", "n")
+    live = materialise(live.join(shared.withColumnRenamed("rid", "key"), "key"), "keys")
+    pivots = live.groupBy("key").agg(F.min(F.struct("sig", "n", "fp")).alias("p")).select("key", F.col("p.sig").alias("a"), F.col("p.n").alias("na"), F.col("p.fp").alias("fa"))
+    met = live.select("key", "fp", F.col("sig").alias("b"), F.col("n").alias("nb")).join(pivots, "key").filter("a <> b").select("a", "b", "na", "nb", "fp", "fa").distinct()
+    other = F.col("fp").bitwiseXOR(F.col("fa"))
+    # a chain holds l * budget / segments differing bits at most in its first l segments, for every l
+    spare = [F.bit_count(other.bitwiseAND(signed(x))) * segments - budget for x in ones]
+    met = met.withColumn("spare", F.array(*spare, *spare[:-1]))
+    chain = F.expr(f"""exists(sequence(1, {segments}), s -> aggregate(slice(spare, s, {segments}), named_struct('sum', 0, 'ok', true),
+      (acc, x) -> named_struct('sum', acc.sum + x, 'ok', acc.ok AND acc.sum + x <= 0), acc -> acc.ok))""")
+    near = met.filter(chain).withColumn("bits", F.bit_count(other)).filter(F.col("bits") <= budget)
+    return near.groupBy("b", "nb").agg(F.min(F.struct("bits", "a", "na")).alias("p")).select("p.a", "b", "p.na", "nb")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; component_id is the smallest id reachable over links.
 

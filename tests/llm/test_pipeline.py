@@ -82,6 +82,43 @@ def test_a_large_family_of_near_copies_makes_no_square_of_pairs(spark, monkeypat
     assert sum(sizes) < 20 * len(rows)
 
 
+def test_simhash_links_every_pair_within_its_bits(spark):
+    from quillon.llm import simhash
+
+    r = random.Random(14)
+    fps = []
+    for _ in range(300):
+        x = r.getrandbits(64)
+        y = x
+        for bit in r.sample(range(64), r.randrange(9)):
+            y ^= 1 << bit
+        fps += [x, y]
+    signed = lambda x: x - (1 << 64 if x >> 63 else 0)
+    prints = spark.createDataFrame([(signed(x), i, 10) for i, x in enumerate(fps)], "fp long, sig long, n long")
+    got = {(x.a, x.b) for x in simhash.nearest_pivots(prints).collect()}
+    bits = {(i, j): (x ^ fps[j]).bit_count() for i, x in enumerate(fps) for j in range(i + 1, len(fps))}
+    assert got == {p for p, n in bits.items() if n <= 6}
+
+
+def test_near_copies_of_few_edits_link_by_simhash_first(spark, monkeypatch):
+    from quillon.llm import similar
+
+    found = []
+    pivots = similar.nearest_pivots
+    monkeypatch.setattr(similar, "nearest_pivots", lambda prints: (lambda out: (found.append(out.select("a", "b").collect()), out)[1])(pivots(prints)))
+    r = random.Random(15)
+    word = lambda: "w%d" % r.randrange(9000)
+    rows = []
+    for i in range(60):
+        w = [word() for _ in range(250)]
+        rows.append((2 * i, " ".join(w), "en", "a", 1))
+        w[r.randrange(250)] = word()
+        rows.append((2 * i + 1, " ".join(w), "en", "a", 1))
+    got = {x.doc_id for x in similar.near_copies(frame(spark, rows)).filter("doc_id = component_id").collect()}
+    assert got == set(range(0, 120, 2))
+    assert 54 <= len(found[0]) <= 60
+
+
 def test_run_matches_brute_force(spark):
     import collections
     import re
