@@ -119,6 +119,22 @@ def test_near_copies_of_few_edits_link_by_simhash_first(spark, monkeypatch):
     assert 54 <= len(found[0]) <= 60
 
 
+def test_groups_of_a_value_do_not_grow_with_the_table(spark, monkeypatch):
+    from quillon.llm import similar
+
+    sizes = []
+    bounded = similar._bounded
+    monkeypatch.setattr(similar, "SAMPLE", 50)  # as if the table were 80 times as large
+    monkeypatch.setattr(similar, "_bounded", lambda pairs: (sizes.append(pairs.count()), bounded(pairs))[1])
+    r = random.Random(16)
+    word = lambda: "w%d" % r.randrange(100_000)
+    phrases = [[word() for _ in range(12)] for _ in range(20)]
+    rows = [(i, " ".join([word() for _ in range(60)] + phrases[i % 20]), "en", "a", 1) for i in range(3200)]
+    got = similar.near_copies(frame(spark, rows))
+    assert got.filter("doc_id = component_id").count() == 3200
+    assert sum(sizes) < 10_000
+
+
 def test_run_matches_brute_force(spark):
     import collections
     import re
