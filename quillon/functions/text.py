@@ -28,6 +28,12 @@ def lines(content: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def newline_split(content: Column) -> Column:
+    """Lines as SQL's string_split(rtrim(text, chr(10)), chr(10)): all closing newlines go, a carriage return stays, and an
+    empty text is one empty line."""
+    return F.split(F.rtrim(content, F.lit("\n")), "\n", -1)
+
+
 def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]\.([^./]*)$", 1)
 
@@ -36,10 +42,10 @@ def contains_ci(content: Column, query: str) -> Column:
     return F.contains(F.lower(content), F.lit(query.lower()))
 
 
-def snippet(content: Column, hit, before: int = 2, after: int = 8, limit: int = 10) -> Column:
+def snippet(content: Column, hit, before: int = 2, after: int = 8, limit: int = 10, split=lines) -> Column:
     """Struct (text, offset, count, line) around the first line for which hit(line) holds, else the first `limit` lines and
     no line."""
-    ls = lines(content)
+    ls = split(content)
     i = F.array_position(F.transform(ls, hit), True).cast("int") - 1
     start = F.greatest(i - before, F.lit(0))
     end = F.least(i + after, F.size(ls))
@@ -47,23 +53,23 @@ def snippet(content: Column, hit, before: int = 2, after: int = 8, limit: int =
     part = F.when(found, F.slice(ls, start + 1, F.greatest(end - start, F.lit(0)))).otherwise(F.slice(ls, 1, limit))
     text = F.array_join(part, "\n")
     return F.struct(text.alias("text"), F.when(found, start).otherwise(0).alias("offset"),
-                    F.when(found, F.size(part)).otherwise(F.size(lines(text))).alias("count"), F.when(found, i).alias("line"))
+                    F.when(found, F.size(part)).otherwise(F.size(split(text))).alias("count"), F.when(found, i).alias("line"))
 
 
-def literal_snippet(content: Column, query: str) -> Column:
+def literal_snippet(content: Column, query: str, split=lines) -> Column:
     words = query.lower().split()
-    return snippet(content, lambda line: reduce(lambda a, b: a | b, [F.contains(F.lower(line), F.lit(w)) for w in words]) if words else F.lit(False))
+    return snippet(content, lambda line: reduce(lambda a, b: a | b, [F.contains(F.lower(line), F.lit(w)) for w in words]) if words else F.lit(False), split=split)
 
 
-def regex_snippet(content: Column, java_pattern: str) -> Column:
-    return snippet(content, lambda line: F.rlike(line, F.lit(java_pattern)))
+def regex_snippet(content: Column, java_pattern: str, split=lines) -> Column:
+    return snippet(content, lambda line: F.rlike(line, F.lit(java_pattern)), split=split)
 
 
-def chunk_spans(content: Column, size: int = 50, overlap: int = 10) -> Column:
+def chunk_spans(content: Column, size: int = 50, overlap: int = 10, split=lines) -> Column:
     """Array of (chunk, line_start, line_end, text); empty for texts of `size` lines or fewer."""
     if overlap >= size:
         raise ValueError("chunk_overlap must be smaller than chunk_size")
-    ls = lines(content)
+    ls = split(content)
     n = F.size(ls)
     starts = F.when(n > size, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda s, i: F.struct(i.alias("chunk"), (s + 1).alias("line_start"), F.least(s + size, n).alias("line_end"),
