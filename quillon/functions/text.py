@@ -23,6 +23,29 @@ def tokens(content: Column) -> Column:
     return F.filter(pairs, lambda x: (x["term"] != "") & (F.octet_length(x["term"]) < MAX_TOKEN_BYTES))
 
 
+def joined_tokens(content: Column) -> Column:
+    """The lower-cased matches of the tokenizer in one string, a newline between two; a place without a term is empty, and
+    terms that are too long are still there. No term holds a newline, and lower-casing does not look across one."""
+    return F.lower(F.array_join(F.regexp_extract_all(content, F.lit(TOKEN), F.lit(1)), "\n"))
+
+
+def term_count(raw: Column) -> Column:
+    """How many raw matches are terms. Lower-casing makes no character more than three times as long."""
+    return F.size(F.filter(raw, lambda t: (t != "") & ((F.octet_length(t) * 3 < MAX_TOKEN_BYTES) | (F.octet_length(F.lower(t)) < MAX_TOKEN_BYTES))))
+
+
+def token_count(content: Column) -> Column:
+    """The size of `tokens`, without building them."""
+    return term_count(F.regexp_extract_all(content, F.lit(TOKEN), F.lit(1)))
+
+
+def places(raw: Column, terms: list[str]) -> Column:
+    """Array of (pos, term), as `tokens`, of the given terms alone."""
+    low = F.split(F.lower(F.array_join(raw, "\n")), "\n", -1)  # lower-cased at once; no term holds a newline
+    hit = F.transform(low, lambda t, i: F.when(t.isin(terms), F.struct(i.cast("int").alias("pos"), t.alias("term"))))
+    return F.filter(hit, lambda x: x.isNotNull()) if terms else F.filter(hit, lambda x: F.lit(False))
+
+
 def lines(content: Column) -> Column:
     parts = F.split(F.replace(content, F.lit("\r\n"), F.lit("\n")), "\n", -1)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
